@@ -212,8 +212,9 @@ def shared_spans(docs: DataFrame, span: int = 200, *, gram: int | None = None, i
        texts overestimates in how many texts each occurs. 2. A second pass keeps the segments whose anchor may occur twice
        (a shared window's anchor always does) and groups them exactly, by the hash of anchor and whole text (128 bits
        together): a segment found in two records is shared as a whole. 3. Where an anchor occurs with several
-       segments, their single windows are grouped exactly; a third pass makes them, for one or two records of each such
-       segment. 4. Shared windows of each text are merged to runs. Groups are only ever reduced to their least and
+       segments, single windows count: a second sketch, over one record of each such segment, overestimates in how many of
+       them each window occurs, and those estimated to occur in several are grouped exactly, for one or two records of
+       each (a window of one segment only is shared if its segment is). 4. Shared windows of each text are merged to runs. Groups are only ever reduced to their least and
        greatest id, combined before the shuffle; no pairs are made. The sketch's size follows the number of
        anchors up to ``MAX_CELL_BITS``; a fuller sketch lets more through to the exact grouping, and loses nothing.
     """
@@ -249,22 +250,37 @@ def shared_spans(docs: DataFrame, span: int = 200, *, gram: int | None = None, i
     border = cut(whole.join(several, "a").select("a", "s", "mn", "mx"))
     size = _bits_for(border.count() * 4)
 
-    def owners(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-        a, s, mn, mx = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(4))
-        for doc in (mn, mx):
-            yield np.concatenate([_pair_key(a, s, doc), _mix(doc)])
+    def owners(*columns: int) -> Callable[[pa.RecordBatch], Iterator[np.ndarray]]:
+        def keys(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+            a, s, *docs_of = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1, *columns))
+            for doc in docs_of:
+                yield np.concatenate([_pair_key(a, s, doc), _mix(doc)])
 
-    asked = spark.sparkContext.broadcast(sketch(border, owners, size, 1))
+        return keys
+
+    first, ends = (spark.sparkContext.broadcast(sketch(border, owners(*columns), size, 1)) for columns in ((2,), (2, 3)))
+
+    def windows_of(b: pa.RecordBatch, asked: Bitmap) -> Iterator[tuple[np.ndarray, ...]]:
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        for _, seg in _segments(b, span, gram, asked.has(_mix(ids.view(np.uint64)))):
+            doc = ids[seg.text]
+            k = np.flatnonzero(asked.has(_pair_key(seg.anchor, seg.whole, doc)))
+            if len(k):
+                at, off, w = seg.windows(k)
+                yield doc[at], seg.anchor[at], seg.whole[at], off, w
+
+    def once_a_segment(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for doc, a, s, off, w in windows_of(b, first.value):
+            # a text may hold a segment several times
+            yield (a ^ w)[np.unique(_pair_key(a, s, doc) ^ _mix(off.astype(np.uint64)), return_index=True)[1]]
+
+    again = spark.sparkContext.broadcast(sketch(rows, once_a_segment, _bits_for(border.count() * (span - gram + 1)), 2))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for _, seg in _segments(b, span, gram, asked.value.has(_mix(ids.view(np.uint64)))):
-                doc = ids[seg.text]
-                k = np.flatnonzero(asked.value.has(_pair_key(seg.anchor, seg.whole, doc)))
-                if len(k):
-                    at, off, w = seg.windows(k)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[at], seg.anchor[at].view(np.int64), seg.whole[at].view(np.int64), off.astype(np.int32), w.view(np.int64))], ["doc", "a", "s", "off", "w"])
+            for doc, a, s, off, w in windows_of(b, ends.value):
+                k = again.value.has(a ^ w)
+                yield pa.RecordBatch.from_arrays([pa.array(x[k]) for x in (doc, a.view(np.int64), s.view(np.int64), off.astype(np.int32), w.view(np.int64))], ["doc", "a", "s", "off", "w"])
 
     single = cut(rows.mapInArrow(windows, "doc long, a long, s long, off int, w long"))
     shared = single.groupBy("a", "w").agg(F.min("doc").alias("mn"), F.max("doc").alias("mx")).where("mn < mx").select("a", "w")
