@@ -13,8 +13,7 @@ from pathlib import Path
 
 import numpy as np
 
-# fixed values: the public word pattern of the vocabulary, and its printable stand-ins for bytes
-WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# fixed values: bytes that the vocabulary writes as themselves
 PRINTABLE = [(33, 126), (161, 172), (174, 255)]
 
 SPACE, LETTER, NUMBER, OTHER, END = 0, 1, 2, 3, 4
@@ -33,13 +32,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 @lru_cache(1)
 def code_point_classes() -> np.ndarray:
-    """Of every code point: white space, letter, number or other, as the ``regex`` package has it; one beyond is END."""
-    import regex
+    """Of every code point: white space, letter, number or other; one beyond is END.
 
-    out = np.full(0x110001, OTHER, np.uint8)
+    As the public encoders' own regular expressions have them (through tiktoken), since packages follow different
+    versions of Unicode; without it, as the ``regex`` package has them."""
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    for pattern, kind in ((r"\s", SPACE), (r"\p{L}", LETTER), (r"\p{N}", NUMBER)):
-        found = "".join(regex.findall(pattern + "+", every))
+    out = np.full(0x110001, OTHER, np.uint8)
+    for pattern, kind in ((r"\s+", SPACE), (r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
+        try:
+            import tiktoken
+
+            single = tiktoken.Encoding(f"bytes of {pattern}", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+            found = bytes(single.encode_ordinary(every)).decode()  # what the pattern does not match is left out
+        except ImportError:
+            import regex
+
+            found = "".join(regex.findall(pattern, every))
         out[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
     out[0x110000] = END
     return out
