@@ -288,7 +288,7 @@ def shared_spans(docs: DataFrame, span: int = 200, *, gram: int | None = None, i
     island = F.col("off") - F.row_number().over(Window.partitionBy("a", "s").orderBy("off"))
     some = hits.withColumn("i", island).groupBy("a", "s", "i").agg(F.min("off").alias("f"), F.max("off").alias("t")).drop("i")
     all_ = whole.where("mn < mx").select("a", "s", F.lit(0).alias("f"), F.col("n").alias("t"))
-    runs = found.join(all_.union(some).distinct(), ["a", "s"]).select("doc", "r", (F.col("lo") + F.col("f")).alias("b"), (F.col("lo") + F.col("t") + span).alias("e"))
+    runs = found.join(all_.union(some), ["a", "s"]).select("doc", "r", (F.col("lo") + F.col("f")).alias("b"), (F.col("lo") + F.col("t") + span).alias("e"))
     in_text = Window.partitionBy("doc", "r").orderBy("b", "e")
     before = F.max("e").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
     numbered = runs.withColumn("new", F.when(F.col("b") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(in_text))
