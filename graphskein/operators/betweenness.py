@@ -19,7 +19,7 @@ def betweenness(g: Graph, method: str = "edmonds", batch: int | None = None) ->
     other (less state at a time, the same result)."""
     if method not in ("edmonds", "hua"):
         raise ValueError(f"unknown method: {method}")
-    e = cut(g.directed(True).where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("m")).repartition("src"))
+    e = cut(g.directed(True).where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("m")))
     ids = cut(g.ids)
     n = ids.count()
     if n <= 2:
@@ -66,7 +66,7 @@ def current_flow_betweenness(g: Graph, flows: int = 10, eps: float = 1e-3, seed:
     relaxed, p'(v) = (sum of p over incident edges + 1 at its source - 1 at its target) / degree, until no potential
     changes by ``eps`` or more or ``max_rounds`` have passed; the measure is the mean, over the currents that reach v and neither
     start nor end in it, of the sum over incident edges of \\|p(neighbour) - p(v)\\| / 2. Isolated vertices have 0."""
-    e = cut(g.directed(True).where("src <> dst").select("src", "dst").repartition("src"))
+    e = cut(g.directed(True).where("src <> dst").select("src", "dst"))
     deg = cut(e.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("deg")))
     n = deg.count()
     if n < 2:

@@ -93,7 +93,7 @@ def strongly_connected_components(g: Graph, max_iter: int = 10) -> DataFrame:
 def label_propagation(g: Graph, iterations: int) -> DataFrame:
     """Vertices with ``label``: in each round every vertex takes the most frequent label among its neighbours in both
     directions (of equally frequent ones the least), starting from ids; without neighbours it keeps its own."""
-    e = cut(g.directed(True).groupBy("src", "dst").agg(F.sum("w").alias("w")).repartition("src"))
+    e = cut(g.directed(True).groupBy("src", "dst").agg(F.sum("w").alias("w")))
     state = cut(g.ids.withColumn("label", F.col("id")))
     for _ in range(iterations):
         votes = state.withColumnRenamed("id", "src").join(e, "src").groupBy(F.col("dst").alias("id"), "label").agg(F.sum("w").alias("n"))

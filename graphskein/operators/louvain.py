@@ -36,7 +36,7 @@ def move_vertices(level: Level, min_progress: int = 1, progress_counter: int = 1
     greatest positive gain (of equal ones the largest id), in odd rounds of the count only to lower ids, in even ones
     only to higher. Gains are compared as exact integers. The level ends after a pair of rounds without a move, or after more than
     ``progress_counter`` pairs that moved no fewer than the pair before less ``min_progress``."""
-    both = cut(level.edges.unionAll(level.edges.select("dst", "src", "w")).toDF("a", "b", "w").groupBy("a", "b").agg(F.sum("w").alias("w")).repartition("a"))
+    both = cut(level.edges.unionAll(level.edges.select("dst", "src", "w")).toDF("a", "b", "w").groupBy("a", "b").agg(F.sum("w").alias("w")))
     m = level.vertices.agg(F.sum(F.col("internal") + F.col("k"))).first()[0] or 0
     state = cut(level.vertices.select("v", F.col("v").alias("c"), (F.col("internal") + F.col("k")).alias("sigma"), "internal", (F.col("internal") + F.col("k")).alias("ki")))
     if not m:

@@ -32,7 +32,7 @@ def any_in_component(inner: Callable[[Column], Column]) -> Callable[[Column], Co
 
 def bfs(g: Graph, sources: DataFrame, undirected: bool = False, max_depth: int | None = None) -> DataFrame:
     """``source, id, distance`` (int): hops from each id of ``sources(id)`` along out-edges, 0 for itself."""
-    e = cut(g.directed(undirected).select("src", "dst").where("src <> dst").distinct().repartition("src"))
+    e = cut(g.directed(undirected).select("src", "dst").where("src <> dst").distinct())
     front = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("distance")).distinct())
     seen, depth = [front], 0
     while front.limit(1).count() and (max_depth is None or depth < max_depth):
@@ -65,7 +65,7 @@ def path_lengths(
     ``batch`` works on so many groups of targets, one after the other: less state at a time, the same result.
     """
     e = g.directed(undirected, weight).where("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w"))
-    e = cut(e.repartition("dst"))
+    e = cut(e)
     ids = g.ids.where(targets(F.col("id")))
     groups = [ids.where(F.pmod(F.xxhash64("id"), F.lit(batch)) == i) for i in range(batch)] if batch and batch > 1 else [ids]
     out = _union([_relax(e, group, with_paths, max_rounds) for group in groups])

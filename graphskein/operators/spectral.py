@@ -20,7 +20,7 @@ def eigenvector(
 
     Stops when the mean changes by at most ``tol``, or after ``max_iter`` rounds, or when ``go_on(round, old mean, new
     mean)`` says so. All zero when the norm is (any graph without cycles)."""
-    e = cut(g.directed(undirected, weight).groupBy("src", "dst").agg(F.sum("w").alias("w")).repartition("src"))
+    e = cut(g.directed(undirected, weight).groupBy("src", "dst").agg(F.sum("w").alias("w")))
     ids = cut(g.ids)
     n = ids.count()
     if not n:
@@ -45,7 +45,7 @@ def hits(g: Graph, *, normalize: bool = True, tol: float = 1e-8, max_iter: int =
     ``normalize``, each is divided by its sum. Without edges both are 0."""
     e = g.edges.groupBy("src", "dst").agg(F.count("*").alias("w"))
     # both directions in one table, so that a round reads the state once
-    ways = cut(e.select("src", "dst", F.lit(True).alias("forth"), "w").unionAll(e.select("dst", "src", F.lit(False), "w")).toDF("from", "to", "forth", "w").repartition("from"))
+    ways = cut(e.select("src", "dst", F.lit(True).alias("forth"), "w").unionAll(e.select("dst", "src", F.lit(False), "w")).toDF("from", "to", "forth", "w"))
     ids = cut(g.ids)
     n = ids.count()
     loop, state, mean = Loop(), ids.select("id", F.lit(1.0 / max(n, 1)).alias("a"), F.lit(1.0 / max(n, 1)).alias("h")), 1.0 / max(n, 1)
@@ -69,7 +69,7 @@ def page_rank(g: Graph, max_iter: int = 20, reset_probability: float = 0.15, wei
     of the source's outgoing weight; finally scaled so that the ranks sum to the number of vertices."""
     e = g.weighted(weight).groupBy("src", "dst").agg(F.sum("w").alias("w"))
     out = e.groupBy("src").agg(F.sum("w").alias("out"))
-    e = cut(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")).repartition("src"))
+    e = cut(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")))
     ids = cut(g.ids)
     loop, state, row = Loop(), ids.withColumn("r", F.lit(1.0)), None
     for _ in range(max_iter):
@@ -88,7 +88,7 @@ def personalized_page_rank(g: Graph, landmarks: Sequence, max_iter: int = 20, re
     _check_landmarks(landmarks)
     e = g.weighted(weight).groupBy("src", "dst").agg(F.sum("w").alias("w"))
     out = e.groupBy("src").agg(F.sum("w").alias("out"))
-    e = cut(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")).repartition("src"))
+    e = cut(e.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")))
     start = cut(g.ids.where(F.col("id").isin(list(dict.fromkeys(landmarks)))).select("id", F.col("id").alias("reference")))
     loop, state = Loop(), start.withColumn("r", F.lit(1.0))
     for _ in range(max_iter):
