@@ -182,7 +182,7 @@ def sketch(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndar
 
     sent = rows.mapInArrow(count, "block int, once binary, more binary")
     merged = sent.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
-    return Bitmap(bits, {r[0]: bytes(r[1]) for r in merged.toLocalIterator()})
+    return Bitmap(bits, {r[0]: bytes(r[1]) for r in merged.collect()})
 
 
 def _pair_key(a: np.ndarray, s: np.ndarray, doc: np.ndarray) -> np.ndarray:
