@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphskein.graph import Graph
+from graphskein.operators.kernels import KERNEL_EDGES, Adjacency, dependency_sums
 from graphskein.operators.measures import normalise_betweenness
 from graphskein.plans.fixpoint import Loop
 from graphskein.plans.scratch import cut
 
 
-def betweenness(g: Graph, method: str = "edmonds", batch: int | None = None) -> DataFrame:
+def betweenness(g: Graph, method: str = "edmonds", batch: int | None = None, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """Vertices with ``measure``: undirected shortest-path betweenness, divided by (n - 1)(n - 2) over all ordered pairs.
 
     Self-loops are ignored, parallel edges are different paths. 0.0 for n of at most 2. 'edmonds' and 'hua' name two
-    ways to the same measure and give the same. All sources advance together, or in ``batch`` groups one after the
+    ways to the same measure and give the same. Up to ``kernel_edges`` distinct edges are broadcast and searched source by
+    source. Beyond, or with 0, or with ``batch``, all sources advance together in joins, or in ``batch`` groups one after the
     other (less state at a time, the same result)."""
     if method not in ("edmonds", "hua"):
         raise ValueError(f"unknown method: {method}")
@@ -25,7 +27,9 @@ def betweenness(g: Graph, method: str = "edmonds", batch: int | None = None) ->
     if n <= 2:
         return g.with_measure(ids.select("id", F.lit(0.0).alias("measure")), {"measure": 0.0})
     total = None
-    for i in range(batch or 1):
+    if not batch and (adjacency := Adjacency.of(e, kernel_edges)):
+        total = dependency_sums(ids, adjacency)
+    for i in range(batch or 1) if total is None else ():
         sources = ids.where(F.pmod(F.xxhash64("id"), F.lit(batch)) == i) if batch and batch > 1 else ids
         part = cut(_dependencies(e, sources))
         total = part if total is None else total.unionAll(part)

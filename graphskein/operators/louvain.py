@@ -38,7 +38,7 @@ def move_vertices(level: Level, min_progress: int = 1, progress_counter: int = 1
     ``progress_counter`` pairs that moved no fewer than the pair before less ``min_progress``."""
     both = cut(level.edges.unionAll(level.edges.select("dst", "src", "w")).toDF("a", "b", "w").groupBy("a", "b").agg(F.sum("w").alias("w")))
     m = level.vertices.agg(F.sum(F.col("internal") + F.col("k"))).first()[0] or 0
-    state = cut(level.vertices.select("v", F.col("v").alias("c"), (F.col("internal") + F.col("k")).alias("sigma"), "internal", (F.col("internal") + F.col("k")).alias("ki")))
+    state = cut(level.vertices.select("v", F.col("v").alias("c"), "internal", (F.col("internal") + F.col("k")).alias("ki")))
     if not m:
         return state.select("v", "c"), 0.0, 0
     exact = lambda c: F.col(c).cast("decimal(19,0)")
@@ -53,11 +53,10 @@ def move_vertices(level: Level, min_progress: int = 1, progress_counter: int = 1
         gain = F.when(own & (rest == 0), F.lit(0).cast("decimal(38,0)")).otherwise((kin * F.lit(m).cast("decimal(19,0)") - exact("ki") * rest.cast("decimal(19,0)")).cast("decimal(38,0)"))
         best = near.join(state, "v").select("v", F.struct(gain.alias("gain"), F.col("cc").alias("cc")).alias("s")).where("s.gain > 0").groupBy("v").agg(F.max("s").alias("s"))
         goes = (F.col("s.cc") < F.col("c")) if toward else (F.col("s.cc") > F.col("c"))
-        moved = cut(state.join(best, "v", "left").select("v", F.when(goes, F.col("s.cc")).otherwise(F.col("c")).alias("c"), "internal", "ki", F.coalesce(goes, F.lit(False)).alias("moved")))
-        sigma = moved.groupBy("c").agg(F.sum("ki").alias("sigma"))
-        new = cut(moved.join(sigma, "c").select("v", "c", "sigma", "internal", "ki", "moved"))
+        moved = F.coalesce(goes, F.lit(False))
+        new = cut(state.join(best, "v", "left").select("v", F.when(moved, F.col("s.cc")).otherwise(F.col("c")).alias("c"), "internal", "ki", moved.alias("moved")))
         n = new.where("moved").count()
-        drop(state, moved)
+        drop(state)
         state = new.drop("moved")
         state._cut_path = new._cut_path
         updated = n if toward else updated + n
@@ -66,15 +65,18 @@ def move_vertices(level: Level, min_progress: int = 1, progress_counter: int = 1
             last = updated
         if not (stop <= progress_counter and (toward or (updated > 0 and count < max_rounds))):
             break
-    inside = _near(both, state).join(state, "v").groupBy("v").agg(F.sum(F.when(F.col("cc") == F.col("c"), F.col("kin")).otherwise(0)).alias("w"), F.first("internal").alias("internal"), F.first("sigma").alias("sigma"), F.first("ki").alias("ki"))
+    inside = _near(both, state).join(state, "v").groupBy("v").agg(F.sum(F.when(F.col("cc") == F.col("c"), F.col("kin")).otherwise(0)).alias("w"), F.first("internal").alias("internal"), F.first("ki").alias("ki"), F.first("c").alias("c"))
+    total = state.groupBy("c").agg(F.sum("ki").alias("sigma"))
+    inside = inside.join(total, "c")
     q = inside.agg(F.sum(F.greatest(F.lit(0.0), (F.col("internal") + F.col("w")) / F.lit(float(m)) - F.col("sigma").cast("double") * F.col("ki") / F.lit(float(m) ** 2)))).first()[0]
     return state.select("v", "c"), float(q or 0.0), count
 
 
 def _near(both: DataFrame, state: DataFrame) -> DataFrame:
     """``v, cc, sc, kin``: the communities of a vertex's neighbours with their total weight, and the weight of the edges to them."""
-    at = state.select(F.col("v").alias("a"), F.col("c").alias("cc"), F.col("sigma").alias("sc"))
-    return both.join(at, "a").groupBy(F.col("b").alias("v"), "cc").agg(F.first("sc").alias("sc"), F.sum("w").alias("kin"))
+    at = state.select(F.col("v").alias("a"), F.col("c").alias("cc"))
+    near = both.join(at, "a").groupBy(F.col("b").alias("v"), "cc").agg(F.sum("w").alias("kin"))
+    return near.join(state.groupBy(F.col("c").alias("cc")).agg(F.sum("ki").alias("sc")), "cc")
 
 
 def compress(level: Level, membership: DataFrame) -> Level:

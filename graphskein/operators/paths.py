@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphskein.graph import Graph
+from graphskein.operators.kernels import KERNEL_EDGES, Adjacency, distance_sums, distances
 from graphskein.plans.scratch import cut, drop
 
 
@@ -30,9 +31,15 @@ def any_in_component(inner: Callable[[Column], Column]) -> Callable[[Column], Co
     return lambda members: F.exists(members, inner)
 
 
-def bfs(g: Graph, sources: DataFrame, undirected: bool = False, max_depth: int | None = None) -> DataFrame:
-    """``source, id, distance`` (int): hops from each id of ``sources(id)`` along out-edges, 0 for itself."""
+def bfs(g: Graph, sources: DataFrame, undirected: bool = False, max_depth: int | None = None, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+    """``source, id, distance`` (int): hops from each id of ``sources(id)`` along out-edges, 0 for itself.
+
+    Up to ``kernel_edges`` distinct edges are broadcast and searched source by source; more, or with 0 any, are joined
+    to the frontiers of all sources, round by round."""
     e = cut(g.directed(undirected).select("src", "dst").where("src <> dst").distinct())
+    if adjacency := Adjacency.of(e.withColumn("m", F.lit(1.0)), kernel_edges):
+        drop(e)
+        return distances(sources.select("id").where("id is not null").distinct(), adjacency, max_depth)
     front = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("distance")).distinct())
     seen, depth = [front], 0
     while front.limit(1).count() and (max_depth is None or depth < max_depth):
@@ -56,14 +63,19 @@ def _union(dfs: Sequence[DataFrame]) -> DataFrame:
 
 def path_lengths(
     g: Graph, targets: Callable[[Column], Column] = all_vertices, *, undirected: bool = False, weight: str | None = None, with_paths: bool = False,
-    batch: int | None = None, max_rounds: int = 10_000,
+    batch: int | None = None, max_rounds: int = 10_000, kernel_edges: int = KERNEL_EDGES,
 ) -> DataFrame:
     """``id, target, distance`` (double): the least weight of a path from each vertex along out-edges to each target it
     reaches; 0.0 for itself. Without ``weight`` every edge weighs 1; weights must not be negative.
 
     ``with_paths`` adds ``paths``: all minimal paths, each the target first and the first hop last, without the start.
-    ``batch`` works on so many groups of targets, one after the other: less state at a time, the same result.
+    ``batch`` works on so many groups of targets, one after the other: less state at a time, the same result. Hops alone,
+    up to ``kernel_edges`` edges, are found as in :func:`bfs`, from the targets along edges backwards.
     """
+    if not weight and not with_paths and not (batch and batch > 1):
+        turned = Graph(g.vertices, g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        found = bfs(turned, g.ids.where(targets(F.col("id"))), undirected, kernel_edges=kernel_edges)
+        return found.select("id", F.col("source").alias("target"), F.col("distance").cast("double").alias("distance"))
     e = g.directed(undirected, weight).where("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w"))
     e = cut(e)
     ids = g.ids.where(targets(F.col("id")))
@@ -131,20 +143,28 @@ def _check_landmarks(landmarks: Sequence) -> None:
         raise TypeError("landmarks must be all strings or all integers")
 
 
-def closeness(g: Graph, *, kind: str = "standard", normalize: bool = False, undirected: bool = False, batch: int | None = None) -> DataFrame:
+def closeness(g: Graph, *, kind: str = "standard", normalize: bool = False, undirected: bool = False, batch: int | None = None, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """Vertices with ``measure`` from the hops d to every other vertex reached along out-edges; 0 if none is.
 
-    'standard': 1 / sum of d, normalised times (n - 1); 'harmonic': sum of 1 / d, normalised by (n - 1)."""
+    'standard': 1 / sum of d, normalised times (n - 1); 'harmonic': sum of 1 / d, normalised by (n - 1). ``kernel_edges`` as in
+    :func:`bfs`; ``batch`` is for larger graphs only, and works on so many groups of sources one after the other."""
     if kind not in ("standard", "harmonic"):
         raise ValueError(f"unknown kind: {kind}")
     ids = g.ids
-    groups = [ids.where(F.pmod(F.xxhash64("id"), F.lit(batch)) == i) for i in range(batch)] if batch and batch > 1 else [ids]
-    parts = []
-    for group in groups:
-        d = bfs(g, group, undirected).where("distance > 0")
-        value = 1.0 / F.sum("distance") if kind == "standard" else F.sum(1.0 / F.col("distance"))
-        parts.append(cut(d.groupBy(F.col("source").alias("id")).agg(value.alias("measure"))))
-    out = g.with_measure(_union(parts), {"measure": 0.0})
+    e = cut(g.directed(undirected).select("src", "dst").where("src <> dst").distinct())
+    if adjacency := Adjacency.of(e.withColumn("m", F.lit(1.0)), kernel_edges):
+        value = 1.0 / F.col("total") if kind == "standard" else F.col("inverse")
+        measured = distance_sums(ids, adjacency).where("not isnan(total)").select("id", value.alias("measure"))
+    else:
+        groups = [ids.where(F.pmod(F.xxhash64("id"), F.lit(batch)) == i) for i in range(batch)] if batch and batch > 1 else [ids]
+        parts = []
+        for group in groups:
+            d = bfs(g, group, undirected, kernel_edges=0).where("distance > 0")
+            value = 1.0 / F.sum("distance") if kind == "standard" else F.sum(1.0 / F.col("distance"))
+            parts.append(cut(d.groupBy(F.col("source").alias("id")).agg(value.alias("measure"))))
+        measured = _union(parts)
+    drop(e)
+    out = g.with_measure(measured, {"measure": 0.0})
     if normalize:
         others = g.ids.count() - 1.0
         out = out.withColumn("measure", F.col("measure") * others if kind == "standard" else F.col("measure") / max(others, 1.0))

@@ -18,6 +18,9 @@ _live: dict[str, SparkSession] = {}
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for cuts: ``spark.checkpoint.dir``, or a temporary one in a single-process session."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        by_call = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = by_call.get() if by_call.isDefined() else None
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
@@ -45,6 +48,13 @@ def drop(*dfs: DataFrame | None) -> None:
             _remove(path)
 
 
+def clear() -> None:
+    """Remove the tables behind all cuts made so far; results that were not yet stored elsewhere can no longer be read."""
+    for path in list(_live):
+        if "/cut-" in path:
+            _remove(path)
+
+
 def _remove(path: str) -> None:
     spark = _live.pop(path, None)
     if spark is None:

@@ -141,7 +141,8 @@ _add(
     ", und AS MATERIALIZED (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e), p(s, v, d) AS (SELECT id, id, 0 FROM v UNION SELECT p.s, und.b, p.d + 1 FROM p JOIN und ON und.a = p.v WHERE p.d < 10), dist AS MATERIALIZED (SELECT s, v, min(d) AS d FROM p GROUP BY s, v), sg(s, v, d, sigma) AS (SELECT id, id, 0, 1.0::DOUBLE FROM v UNION ALL SELECT sg.s, und.b, sg.d + 1, sum(sg.sigma) FROM sg JOIN und ON und.a = sg.v JOIN dist ON dist.s = sg.s AND dist.v = und.b AND dist.d = sg.d + 1 GROUP BY sg.s, und.b, sg.d), n AS (SELECT count(*)::DOUBLE AS n FROM v)",
     True,
 )
-_add("betweenness_batched", "g2", lambda g: _round(bt.betweenness(g, "hua", batch=2), "measure"))
+QUERIES["betweenness_batched_g2"] = lambda spark, d: _round(bt.betweenness(g2(spark, d), "hua", batch=2), "measure")
+SQL["betweenness_batched_g2"] = SQL["betweenness_g1"].replace(G1_V, G2_V).replace(G1_E, G2_E).replace("p.d < 10", "p.d < 40")
 
 
 # rounds of a fixed number

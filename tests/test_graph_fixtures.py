@@ -74,7 +74,8 @@ def test_degrees(graphs):
 
 def test_closeness(graphs):
     close(values(paths.closeness(graphs["t1"]), "measure"), padded(T1[0], {1: 0.25}))
-    close(values(paths.closeness(graphs["t2"], batch=3), "measure"), padded(T2[0], {1: 0.1, 2: 1 / 9, 3: 0.2, 4: 0.5, 5: 1.0}))
+    close(values(paths.closeness(graphs["t2"]), "measure"), padded(T2[0], {1: 0.1, 2: 1 / 9, 3: 0.2, 4: 0.5, 5: 1.0}))
+    close(values(paths.closeness(graphs["t2"], batch=3, kernel_edges=0), "measure"), padded(T2[0], {1: 0.1, 2: 1 / 9, 3: 0.2, 4: 0.5, 5: 1.0}))
     close(values(paths.closeness(graphs["t3"], kind="harmonic"), "measure"), padded(T3[0], {1: 2.5, 2: 11 / 6, 3: 2, 4: 11 / 6, 5: 1}))
     close(values(paths.closeness(graphs["words"]), "measure"), padded("abcdef", {"a": 0.1, "b": 1 / 9, "c": 0.2, "d": 0.5, "e": 1.0}))
     close(values(paths.closeness(graphs["t1"], normalize=True), "measure"), padded(T1[0], {1: 1.0}))
@@ -85,6 +86,8 @@ def test_closeness(graphs):
 def test_betweenness(graphs):
     close(values(bt.betweenness(graphs["t1"]), "measure"), padded(T1[0], {1: 1.0}))
     close(values(bt.betweenness(graphs["t2"], "hua", batch=2), "measure"), padded(T2[0], {3: 0.6, 4: 0.6}))
+    close(values(bt.betweenness(graphs["t2"]), "measure"), padded(T2[0], {3: 0.6, 4: 0.6}))
+    close(values(bt.betweenness(graphs["t3"], kernel_edges=0), "measure"), padded(T3[0], {1: 1 / 30, 2: 1 / 30}))
     close(values(bt.betweenness(graphs["t3"]), "measure"), padded(T3[0], {1: 1 / 30, 2: 1 / 30}))
     close(values(bt.betweenness(graphs["none"]), "measure"), {1: 0.0, 2: 0.0})
     with pytest.raises(ValueError):
@@ -170,6 +173,11 @@ def test_paths(graphs):
     assert rows(paths.shortest_paths(graphs["t1"], [1, 4])) == [(1, 1, 0), (1, 4, 1), (4, 4, 0)]
     assert rows(paths.shortest_paths(graphs["t2"], [1, 4])) == [(1, 1, 0), (1, 4, 2), (2, 4, 2), (3, 4, 1), (4, 4, 0)]
     assert rows(paths.shortest_paths(graphs["words"], ["a"])) == [("a", "a", 0)]
+    for name in ("t3", "words", "loop"):
+        g = graphs[name]
+        both = [sorted((r.source, r.id, r.distance) for r in paths.bfs(g, g.ids, kernel_edges=k).collect()) for k in (0, 100)]
+        assert both[0] == both[1]
+        assert all(r[2] <= 1 for r in paths.bfs(g, g.ids, max_depth=1).collect())
     lists = {(r["id"], r["target"]): r["paths"] for r in paths.path_lengths(graphs["t2"], paths.by_id(6), with_paths=True).collect()}
     assert lists[(4, 6)] == [[6]] and lists[(1, 6)] == [[6, 4, 3]] and lists[(6, 6)] == [[]]
     assert values(paths.distances_to(graphs["t2"], 4), "distance") == {1: 2.0, 2: 2.0, 3: 1.0, 4: 0.0, 5: None, 6: None}
