@@ -7,6 +7,7 @@ executors, the table is compressed and columnar, and its size on disk is what Ca
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -63,8 +64,9 @@ def _remove(path: str) -> None:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may have ended already; the folder is then the cluster's to clean
-        pass
+    except Exception:  # the session may have ended already; a folder elsewhere is then the cluster's to clean
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 @atexit.register
