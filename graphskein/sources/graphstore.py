@@ -70,12 +70,14 @@ class Ask(InputPartition):
         """The store's query for the next ``first`` nodes after uid ``after``."""
         page = f", first: {first}, after: {hex(after)}"
         names = {p.name: f"pred{i + 1}" for i, p in enumerate(sorted(self.predicates, key=lambda p: p.name))}
-        blocks = ("" if self.uids is not None else "".join(f"\n  {v} as var(func: has(<{n}>){page})" for n, v in names.items())) + "\n"
-        source = ",".join(map(hex, sorted(self.uids))) if self.uids is not None else ",".join(names.values())
         tests = [f"has(<{n}>)" for n in self.having]
         tests += ["(" + " OR ".join(f"eq(<{n}>, {json.dumps(v, default=str)})" for v in vs) + ")" for n, vs in self.values]
+        kept = f" @filter({' AND '.join(tests)})" if tests else ""
+        # each block pages over matches only, so that a short page means that no match is left
+        blocks = ("" if self.uids is not None else "".join(f"\n  {v} as var(func: has(<{n}>){page}){kept}" for n, v in names.items())) + "\n"
+        source = ",".join(map(hex, sorted(self.uids))) if self.uids is not None else ",".join(names.values())
         paths = "".join(f"    <{p.name}{'@*' if p.lang else ''}>{' { uid }' if p.kind == 'uid' else ''}\n" for p in sorted(self.predicates, key=lambda p: p.name))
-        return f"{{{blocks}  result (func: uid({source}){page}) {'@filter(' + ' AND '.join(tests) + ') ' if tests else ''}{{\n    uid\n{paths}  }}\n}}"
+        return f"{{{blocks}  result (func: uid({source}){page}){kept} {{\n    uid\n{paths}  }}\n}}"
 
 
 # -- reaching the store

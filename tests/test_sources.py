@@ -1,6 +1,7 @@
 """Sources over exports in folders: rows, pushed filters, partitions, queries."""
 
 import json
+import re
 from datetime import datetime
 
 import pytest
@@ -92,6 +93,50 @@ def test_query_text():
     assert some.text(2, 0) == "{\n  result (func: uid(0x1,0x3), first: 2, after: 0x0) @filter(has(<age>) AND (eq(<age>, 5))) {\n    uid\n    <age>\n  }\n}"
 
 
+class TextTransport:
+    """Answers the text of the query as the store does: every block filters, pages, and hands its uids on."""
+
+    def __init__(self, options, targets):
+        pass
+
+    def schema(self):
+        return {"schema": [{"predicate": "age", "type": "int"}, {"predicate": "name", "type": "string"}]}
+
+    def state(self):
+        return {"maxLeaseId": 50, "groups": {"1": {"members": {"1": {"addr": "a:7080"}}, "tablets": {n: {"predicate": n} for n in ("age", "name")}}}}
+
+    def page(self, ask, first, after):
+        nodes = {u: {"age": u % 10} | ({"name": "A"} if u % 7 == 0 else {}) for u in range(1, 51)}
+        found = {}
+        for block in re.findall(r"^  \S+ .*func: .*$", ask.text(first, after), re.M):
+            name, func, at = re.search(r"^  (\w+) .*func: (\w+\(.*?\)), first: \d+, after: (\w+)\)", block).groups()
+            args = re.findall(r"[\w.]+", func)[1:]
+            uids = [u for u in nodes if args[0] in nodes[u]] if func.startswith("has") else sorted({u for a in args for u in (found[a] if a in found else [int(a, 16)])})
+            for n in re.findall(r"(?<!func: )has\(<(\w+)>\)", block):
+                uids = [u for u in uids if n in nodes[u]]
+            for group in re.findall(r"\((eq\(.*?\)(?: OR eq\(.*?\))*)\)", block):
+                uids = [u for u in uids if any(nodes[u].get(n) == json.loads(v) for n, v in re.findall(r"eq\(<(\w+)>, (.*?)\)", group))]
+            found[name] = [u for u in uids if u > int(at, 16)][:first]
+        return [{"uid": hex(u)} | {k: v for k, v in nodes[u].items() if k in {p.name for p in ask.predicates}} for u in found["result"]]
+
+
+def test_filtered_pages_are_read_to_the_end():
+    options = {"path": "x", "transport": f"{__name__}:TextTransport", "dgraph.chunkSize": "4"}
+
+    def subjects(source, *filters, **more):
+        r = source(options | more)
+        reader = r.reader(type("S", (), {"names": [c.split(" ")[0].strip("`") for c in r.schema().split(", ")]}))
+        list(reader.pushFilters(list(filters)))
+        return sorted({row[0] for ask in reader.partitions() for row in reader.read(ask)})
+
+    wide = {"dgraph.nodes.mode": "wide"}
+    assert subjects(TripleSource) == list(range(1, 51))
+    assert subjects(TripleSource, EqualTo(("objectLong",), 3)) == [3, 13, 23, 33, 43]
+    assert subjects(TripleSource, In(("objectLong",), (3, 9)), In(("subject",), (3, 4, 9, 13, 19, 23))) == [3, 9, 13, 19, 23]
+    assert subjects(NodeSource, IsNotNull(("name",)), **wide) == [7, 14, 21, 28, 35, 42, 49]
+    assert subjects(NodeSource, IsNotNull(("name",)), In(("age",), (5, 9)), **wide) == [35, 49]
+
+
 def test_options_and_partitions():
     assert targets_of({"dgraph.target": "a:1", "dgraph.targets": "b:1, a:1"}) == ["a:1", "b:1"]
     for bad in ({}, {"path": " "}):
