@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphskein.graph import Graph
-from graphskein.operators.kernels import KERNEL_EDGES, Adjacency, dependency_sums
+from graphskein.operators.community import component_labels
+from graphskein.operators.kernels import KERNEL_EDGES, Adjacency, dependency_sums, flow_sums
 from graphskein.operators.measures import normalise_betweenness
 from graphskein.plans.fixpoint import Loop
 from graphskein.plans.scratch import cut
@@ -63,40 +64,56 @@ def _dependencies(e: DataFrame, sources: DataFrame) -> DataFrame:
     return out.groupBy("id").agg(F.sum("delta").alias("delta"))
 
 
-def current_flow_betweenness(g: Graph, flows: int = 10, eps: float = 1e-3, seed: int = 7, max_rounds: int = 500) -> DataFrame:
+def current_flow_betweenness(g: Graph, flows: int = 10, eps: float = 1e-3, seed: int = 7, max_rounds: int = 500, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """Vertices with ``measure``: randomised current-flow betweenness.
 
-    Every vertex sends ``flows`` unit currents to random other vertices (``seed``). The potential p of each current is
-    relaxed, p'(v) = (sum of p over incident edges + 1 at its source - 1 at its target) / degree, until no potential
-    changes by ``eps`` or more or ``max_rounds`` have passed; the measure is the mean, over the currents that reach v and neither
-    start nor end in it, of the sum over incident edges of \\|p(neighbour) - p(v)\\| / 2. Isolated vertices have 0."""
+    Every vertex with neighbours sends ``flows`` unit currents, each to a random other vertex of its component (``seed``; one drawn
+    repeatedly counts as often). The potential p of each current, at first supply / degree / 2, is relaxed,
+    p'(v) = (sum of p over incident edges + supply) / degree with a supply of 1 at its source, -1 at its target and 0 elsewhere,
+    until no potential of any current changes by ``eps`` or more; more than ``max_rounds`` rounds are an error. The measure is the
+    mean, over the currents that reach v and neither start nor end in it, of the sum over incident edges of
+    \\|p(neighbour) - p(v)\\| / 2. Isolated vertices have 0. From the potentials at first the rounds also settle where
+    all edges lie between two sides. Up to ``kernel_edges`` distinct edges are broadcast; beyond, or with 0, all currents
+    advance together in joins (the same result)."""
     e = cut(g.directed(True).where("src <> dst").select("src", "dst"))
     deg = cut(e.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("deg")))
-    n = deg.count()
-    if n < 2:
+    if deg.count() < 2:
         return g.with_measure(g.ids.select("id", F.lit(0.0).alias("measure")), {"measure": 0.0})
-    numbered = deg.select("v", F.xxhash64("v", F.lit(seed)).alias("h"))
-    # a random target: the vertex whose hash follows a random number, found by equal ranks of two orders
-    wanted = numbered.select(F.col("v").alias("s"), F.explode(F.sequence(F.lit(1), F.lit(flows))).alias("k"))
-    wanted = wanted.select("s", "k", F.pmod(F.xxhash64("s", "k", F.lit(seed + 1)), F.lit(n)).alias("pick"))
-    spots = F.lit(max(1, min(4096, n // 4)))
-    bucketed = numbered.withColumn("b", F.pmod("h", spots)).withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("h", "v")) - 1)
-    sizes = bucketed.groupBy("b").agg(F.count("*").alias("size"))
-    picks = wanted.withColumn("b", F.pmod(F.xxhash64("s", "k", F.lit(seed + 2)), spots)).join(sizes, "b").withColumn("r", F.pmod("pick", F.col("size")).cast("int"))
-    runs = cut(picks.join(bucketed.select("b", "r", F.col("v").alias("t")), ["b", "r"]).where("s <> t").select("s", "t").distinct())
+    runs = cut(currents(deg, e, flows, seed))
+    if adjacency := Adjacency.of(e.groupBy("src", "dst").agg(F.count("*").cast("double").alias("m")), kernel_edges):
+        sums = flow_sums(runs, adjacency, eps, max_rounds)
+        return g.with_measure(sums.where("n > 0").groupBy("id").agg((F.sum("total") / F.sum("n")).alias("measure")), {"measure": 0.0})
     loop = Loop(every=1)
     supply = F.when(F.col("v") == F.col("s"), 1.0).when(F.col("v") == F.col("t"), -1.0).otherwise(0.0)
-    state, row = loop.keep(runs.select("s", "t", F.col("s").alias("v"), F.lit(1.0).alias("p"), F.lit(1.0).alias("change")))
+    ends = cut(runs.select("s", "t", F.explode(F.array("s", "t")).alias("v")).join(deg, "v").select("s", "t", "v", (supply / F.col("deg") / 2).alias("p")))
+    state, row = loop.keep(ends.withColumn("change", F.lit(1.0)))
     for _ in range(max_rounds):
         sent = state.join(e, state.v == e.src).groupBy("s", "t", F.col("dst").alias("v")).agg(F.sum("p").alias("p"))
-        ends = runs.select("s", "t", F.explode(F.array("s", "t")).alias("v"), F.lit(0.0).alias("p"))
-        got = sent.unionAll(ends).groupBy("s", "t", "v").agg(F.sum("p").alias("p")).join(deg, "v")
+        got = sent.unionAll(ends.withColumn("p", F.lit(0.0))).groupBy("s", "t", "v").agg(F.sum("p").alias("p")).join(deg, "v")
         new = got.select("s", "t", "v", ((F.col("p") + supply) / F.col("deg")).alias("q")).join(state.select("s", "t", "v", F.col("p").alias("old")), ["s", "t", "v"], "left")
         state, row = loop.keep(new.select("s", "t", "v", F.col("q").alias("p"), F.abs(F.col("q") - F.coalesce("old", F.lit(0.0))).alias("change")), F.max("change").alias("c"))
         if row.c is None or row.c < eps:
             break
+    else:
+        raise RuntimeError(f"potentials still change after {max_rounds} rounds")
     there = state.select("s", "t", "v", "p")
     near = there.select("s", "t", F.col("v").alias("dst"), F.col("p").alias("pn"))
     each = there.where("v <> s and v <> t").join(e, F.col("v") == e.src).join(near, ["s", "t", "dst"], "left")
-    per_flow = each.groupBy("s", "t", "v").agg((F.sum(F.abs(F.coalesce("pn", F.lit(0.0)) - F.col("p"))) / 2).alias("x"))
-    return g.with_measure(per_flow.groupBy(F.col("v").alias("id")).agg(F.avg("x").alias("measure")), {"measure": 0.0})
+    per_flow = each.groupBy("s", "t", "v").agg((F.sum(F.abs(F.coalesce("pn", F.lit(0.0)) - F.col("p"))) / 2).alias("x")).join(runs, ["s", "t"])
+    return g.with_measure(per_flow.groupBy(F.col("v").alias("id")).agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("measure")), {"measure": 0.0})
+
+
+def currents(deg: DataFrame, e: DataFrame, flows: int, seed: int) -> DataFrame:
+    """``s, t, n``: for each ``v`` of ``deg`` as source ``flows`` draws, counted by target, among the other vertices of its component over ``e``."""
+    part = component_labels(deg.select(F.col("v").alias("id")), e).select(F.col("id").alias("v"), "component", F.xxhash64("id", F.lit(seed)).alias("h"))
+    # ranks in the order of hashes: within a range of hashes, after the sizes of the ranges before
+    parted = part.withColumn("b", F.shiftright("h", 52))
+    sizes = parted.groupBy("component", "b").agg(F.count("*").alias("size"))
+    by = Window.partitionBy("component")
+    before = sizes.select("component", "b", (F.sum("size").over(by.orderBy("b")) - F.col("size")).alias("before"), F.sum("size").over(by).alias("m"))
+    within = parted.withColumn("i", F.row_number().over(Window.partitionBy("component", "b").orderBy("h", "v")) - 1)
+    ranked = cut(within.join(before, ["component", "b"]).select("v", "component", "m", (F.col("before") + F.col("i")).alias("r")))
+    wanted = ranked.select("component", "m", "r", F.col("v").alias("s"), F.explode(F.sequence(F.lit(1), F.lit(flows))).alias("k"))
+    step = 1 + F.pmod(F.xxhash64("s", "k", F.lit(seed + 1)), F.col("m") - 1)
+    picks = wanted.select("component", "s", F.pmod(F.col("r") + step, F.col("m")).alias("r"))
+    return picks.join(ranked.select("component", "r", F.col("v").alias("t")), ["component", "r"]).groupBy("s", "t").agg(F.count("*").alias("n"))

@@ -101,6 +101,27 @@ def test_current_flow(graphs):
     assert min(got[3], got[4]) > max(got[i] for i in (1, 2, 5, 6))
 
 
+def test_current_flow_stays_within_components(spark):
+    # four paths of three, one edge and one vertex alone: only the middle of a path carries current
+    e = [(10 * i + j, 10 * i + j + 1) for i in range(1, 5) for j in (1, 2)] + [(1, 2)]
+    ids = sorted({x for pair in e for x in pair} | {99})
+    g = Graph(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(e, "src long, dst long"))
+    for kernel in (bt.KERNEL_EDGES, 0):
+        close(values(bt.current_flow_betweenness(g, kernel_edges=kernel), "measure"), {i: float(i > 10 and i % 10 == 2) for i in ids})
+    both = g.directed(True).select("src", "dst")
+    drawn = bt.currents(both.select(F.col("src").alias("v")).distinct(), both, 7, 3).collect()
+    assert all(r.s != r.t and r.s // 10 == r.t // 10 for r in drawn)
+    assert {v: sum(r.n for r in drawn if r.s == v) for v in ids if v != 99} == {v: 7 for v in ids if v != 99}
+
+
+def test_current_flow_by_kernel_and_by_joins(graphs):
+    for name in ("t2", "t3", "words"):
+        close(values(bt.current_flow_betweenness(graphs[name], flows=3), "measure"), values(bt.current_flow_betweenness(graphs[name], flows=3, kernel_edges=0), "measure"))
+    for kernel in (bt.KERNEL_EDGES, 0):
+        with pytest.raises(RuntimeError, match="2 rounds"):
+            bt.current_flow_betweenness(graphs["t2"], max_rounds=2, kernel_edges=kernel)
+
+
 def test_eigenvector(graphs):
     close(values(spectral.eigenvector(graphs["t1"]), "measure"), padded(T1[0], {}))
     close(values(spectral.eigenvector(graphs["t3"]), "measure"), padded(T3[0], {1: 0.37138, 2: 0.723036, 3: 0.518125, 4: 0.266162}))
