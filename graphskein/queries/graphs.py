@@ -130,7 +130,7 @@ for _g in ("g1", "g2"):
     _add("path_lengths_batched", _g, lambda g: paths.path_lengths(g, batch=3), "SELECT s AS id, v AS target, cast(d AS DOUBLE) AS distance FROM dist", _REACH, True)
     _add("shortest_path_lists", _g, lambda g: paths.path_lengths(g, with_paths=True))
     _add("approximate_path_lengths", _g, coarsening.approximate_path_lengths)
-    _add("current_flow_betweenness", _g, lambda g: bt.current_flow_betweenness(g, flows=4, eps=1e-2, max_rounds=60))
+    _add("current_flow_betweenness", _g, lambda g: bt.current_flow_betweenness(g))
 _add("bfs", "g1", lambda g: paths.bfs(g, g.ids).select("source", "id", "distance"), "SELECT s AS source, v AS id, d AS distance FROM dist", _REACH, True)
 _LANDMARKS = [7, 64]
 _add("shortest_paths", "g0", lambda g: paths.shortest_paths(g, _LANDMARKS), "SELECT v.id, min(r.d) AS distance, r.s AS reference FROM v JOIN r ON r.v = v.id GROUP BY v.id, r.s",
