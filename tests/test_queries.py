@@ -2,6 +2,10 @@
 
 import inspect
 
+import pytest
+
+from graphskein.graph import Graph
+from graphskein.operators import walks
 from graphskein.queries import graphs
 
 
@@ -12,3 +16,13 @@ def test_current_flow_is_registered_with_its_defaults(spark, monkeypatch):
     for name in ("current_flow_betweenness_g1", "current_flow_betweenness_g2"):
         graphs.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert [{k: v for k, v in s.items() if k != "g" and v != defaults.parameters[k].default} for s in seen] == [{}, {}]
+
+
+def test_walks_are_followed_to_their_ends(spark, monkeypatch):
+    monkeypatch.setattr(walks, "MERGE", 3)
+    g = Graph(spark.createDataFrame([(1,), (2,), (3,)], "id long"), spark.createDataFrame([(1, 2)] * 4, "src long, dst long"))
+    got = {r.id: r.samples for r in walks.sample_by_walks(g, 2).collect()}
+    assert got.keys() == {1, 2, 3} and all(len(s) == 2 for s in got.values()) and got[3] == [3, 3]
+    assert inspect.signature(walks.sample_by_walks).parameters["max_steps"].default is None
+    with pytest.raises(RuntimeError, match="1 steps"):
+        walks.sample_by_walks(g, 2, max_steps=1)
