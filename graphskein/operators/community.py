@@ -121,9 +121,9 @@ def pscan(g: Graph, epsilon: float = 0.05) -> DataFrame:
     return g.with_measure(component_labels(g.ids, kept).withColumnRenamed("component", "label"), {})
 
 
-def pscan_with_components(g: Graph, required: int = 32, max_iterations: int = 20) -> tuple[DataFrame, float]:
+def pscan_with_components(g: Graph, required: int = 32) -> tuple[DataFrame, float]:
     """Vertices with ``label``, and the threshold used: the cut (similarity > threshold) whose number of components is at
-    least ``required`` and closest to it, by bisection over the sorted distinct similarities with -1 and 2 around them.
+    least ``required`` and closest to it, by bisection over the sorted distinct similarities with -1 and 2 around them until none is left between.
 
     Of each step only the middle value and the number of components come to the driver."""
     similar = cut(structural_similarity(g))
@@ -132,7 +132,7 @@ def pscan_with_components(g: Graph, required: int = 32, max_iterations: int = 20
     low, high, best = -1.0, 2.0, 2.0
     best_labels, best_n = ids.withColumn("component", F.col("id")), ids.count()
     tried = low
-    for _ in range(max_iterations):
+    while True:
         labels = cut(component_labels(ids, similar.where(F.col("similarity") > tried)))
         n = labels.select("component").distinct().count()
         if n >= required and n <= best_n:

@@ -3,9 +3,10 @@
 import inspect
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphskein.graph import Graph
-from graphskein.operators import walks
+from graphskein.operators import community, walks
 from graphskein.queries import graphs
 
 
@@ -26,3 +27,13 @@ def test_walks_are_followed_to_their_ends(spark, monkeypatch):
     assert inspect.signature(walks.sample_by_walks).parameters["max_steps"].default is None
     with pytest.raises(RuntimeError, match="1 steps"):
         walks.sample_by_walks(g, 2, max_steps=1)
+
+
+def test_threshold_search_ends_at_the_closest_cut(spark, monkeypatch):
+    # 2^21 values; from 123,457 / 2^21 on there are three components, below one, so that 2 is never met
+    n, first = 1 << 21, 123_457
+    monkeypatch.setattr(community, "structural_similarity", lambda g: spark.range(n).select((F.col("id") / n).alias("similarity")))
+    most = lambda links: links.agg(F.count("*")).first()[0]
+    monkeypatch.setattr(community, "component_labels", lambda ids, links: ids.select("id", (F.col("id") if most(links) <= n - 1 - first else F.lit(1)).alias("component")))
+    g = Graph(spark.createDataFrame([(1,), (2,), (3,)], "id long"), spark.createDataFrame([(1, 2)], "src long, dst long"))
+    assert community.pscan_with_components(g, 2)[1] == first / n
