@@ -27,10 +27,10 @@ def salted_aggregate(df: DataFrame, keys: Sequence[str], partials: Sequence[Colu
     return partial.groupBy(*keys).agg(*merges)
 
 
-def last_by_key(df: DataFrame, fields: Sequence[str], *, id_col: str = "edge_id", time_col: str = "seen_at", salts: int = 32, share: float = 0.001) -> DataFrame:
+def last_by_key(df: DataFrame, fields: Sequence[str], *, id_col: str = "edge_id", time_col: str = "seen_at", salts: int = 32, share: float = 0.001, with_time: bool = False) -> DataFrame:
     """For each column of ``fields`` and each non-null value in it: the row of greatest ``time_col``, then ``id_col``.
 
-    Output: ``ref_field`` (name of the column), ``uid`` (its value), ``id_col``. A row whose time is null counts as
+    Output: ``ref_field`` (name of the column), ``uid`` (its value), ``id_col``, and ``time_col`` ``with_time``. A row whose time is null counts as
     earlier than any other, one whose id is null as before any other id of its time. Repeated rows change nothing;
     further columns are ignored, whatever their names; an empty table gives no rows.
     """
@@ -38,7 +38,7 @@ def last_by_key(df: DataFrame, fields: Sequence[str], *, id_col: str = "edge_id"
     long = df.select(each.alias("_r"), F.col(time_col).alias("_at"), F.col(id_col).alias("_id")).select("_r.ref_field", "_r.uid", "_at", "_id").where("uid is not null")
     last = F.max(F.struct("_at", "_id"))
     out = salted_aggregate(long, ["ref_field", "uid"], [last.alias("_last")], [F.max("_last").alias("_last")], salt_by="uid", spread_by=["_id", "_at"], salts=salts, share=share)
-    return out.select("ref_field", "uid", F.col("_last._id").alias(id_col))
+    return out.select("ref_field", "uid", F.col("_last._id").alias(id_col), *([F.col("_last._at").alias(time_col)] if with_time else []))
 
 
 def key_summary(df: DataFrame, fields: Sequence[str], *, time_col: str = "seen_at", salts: int = 32, share: float = 0.001) -> DataFrame:

@@ -29,7 +29,7 @@ def keep_last_by_key(edges: DataFrame, fields: Sequence[str], folder: str, check
         spark = batch.sparkSession
         rows = batch.select(id_col, time_col, *fields)
         before = _version(spark, folder, number - 1)
-        new = _with_time(rows, fields, id_col, time_col)
+        new = last_by_key(rows, fields, id_col=id_col, time_col=time_col, with_time=True)
         both = new if before is None else new.unionByName(before)
         last = both.groupBy("ref_field", "uid").agg(F.max(F.struct(time_col, id_col)).alias("s"))
         last.select("ref_field", "uid", F.col(f"s.{id_col}").alias(id_col), F.col(f"s.{time_col}").alias(time_col)).write.mode("overwrite").parquet(f"{folder}/version={number}")
@@ -37,12 +37,6 @@ def keep_last_by_key(edges: DataFrame, fields: Sequence[str], folder: str, check
     return edges.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _with_time(rows: DataFrame, fields: Sequence[str], id_col: str, time_col: str) -> DataFrame:
-    last = last_by_key(rows, fields, id_col=id_col, time_col=time_col)
-    times = rows.groupBy(id_col).agg(F.max(time_col).alias(time_col))
-    return last.join(times, id_col).select("ref_field", "uid", id_col, time_col)
-
-
 def _version(spark: SparkSession, folder: str, number: int) -> DataFrame | None:
     if number < 0:
         return None
