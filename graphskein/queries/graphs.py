@@ -190,7 +190,13 @@ for _g, _k in (("g0", 10), ("g3", 20)):
     _add("label_propagation", _g, lambda g: community.label_propagation(g, 4), _body, _more)
 _more, _body = _page_rank(8, 0.15, _LANDMARKS)
 _add("personalized_page_rank", "g0", lambda g: _round(spectral.personalized_page_rank(g.without_dangling(), _LANDMARKS, 8), "pagerank"), _body, _more)
-for _name in ("page_rank_g0", "page_rank_g3", "personalized_page_rank_g0"):
+# the operators' own rounds and stops; those above are fixed so that SQL can unroll them
+_more, _body = _page_rank(20, 0.15)
+_add("page_rank_default", "g0", lambda g: _round(spectral.page_rank(g.without_dangling()), "pagerank"), _body, _more)
+_more, _body = _page_rank(20, 0.15, _LANDMARKS)
+_add("personalized_page_rank_default", "g0", lambda g: _round(spectral.personalized_page_rank(g.without_dangling(), _LANDMARKS), "pagerank"), _body, _more)
+_add("hits_default", "g3", lambda g: _round(spectral.hits(g), "authority", "hub"))
+for _name in ("page_rank_g0", "page_rank_g3", "personalized_page_rank_g0", "page_rank_default_g0", "personalized_page_rank_default_g0"):
     SQL[_name] = SQL[_name].replace("e AS MATERIALIZED (", "e AS MATERIALIZED (SELECT x.src, x.dst FROM (", 1).replace("), o AS", ") x JOIN v a ON a.id = x.src JOIN v b ON b.id = x.dst), o AS", 1)
 
 # components and communities

@@ -19,6 +19,17 @@ def test_current_flow_is_registered_with_its_defaults(spark, monkeypatch):
     assert [{k: v for k, v in s.items() if k != "g" and v != defaults.parameters[k].default} for s in seen] == [{}, {}]
 
 
+def test_ranks_are_registered_with_their_defaults_too(spark, monkeypatch):
+    seen = {}
+    for op in ("page_rank", "personalized_page_rank", "hits"):
+        given = inspect.signature(getattr(graphs.spectral, op))
+        monkeypatch.setattr(graphs.spectral, op, lambda *a, _op=op, _given=given, **k: seen.update({_op: {n for n, v in _given.bind(*a, **k).arguments.items() if v != _given.parameters[n].default}}))
+    monkeypatch.setattr(graphs, "_round", lambda df, *names: df)
+    for name in ("page_rank_default_g0", "personalized_page_rank_default_g0", "hits_default_g3"):
+        graphs.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert {op: len(names) for op, names in seen.items()} == {"page_rank": 1, "personalized_page_rank": 2, "hits": 1}
+
+
 def test_walks_are_followed_to_their_ends(spark, monkeypatch):
     monkeypatch.setattr(walks, "MERGE", 3)
     g = Graph(spark.createDataFrame([(1,), (2,), (3,)], "id long"), spark.createDataFrame([(1, 2)] * 4, "src long, dst long"))
