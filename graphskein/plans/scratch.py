@@ -7,11 +7,12 @@ executors, the table is compressed and columnar, and its size on disk is what Ca
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _live: dict[str, SparkSession] = {}
 
@@ -42,6 +43,19 @@ def cut(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict]:
+    """:func:`cut`, and aggregates over the rows, computed while they are written."""
+    seen = Observation()
+    return cut(df.observe(seen, *(c.alias(n) for n, c in aggregates.items()))), seen.get
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of plans that nothing refers to any more. Executors keep them until the driver's garbage
+    is collected, which a driver that has little to do puts off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(*dfs: DataFrame | None) -> None:
     """Remove the tables behind cuts that nothing reads any more."""
     for df in dfs:
