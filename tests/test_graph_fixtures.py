@@ -204,6 +204,15 @@ def test_paths(graphs):
     assert values(paths.distances_to(graphs["t2"], 4), "distance") == {1: 2.0, 2: 2.0, 3: 1.0, 4: 0.0, 5: None, 6: None}
 
 
+def test_batches_of_hops_are_searched_like_all_of_them(graphs, monkeypatch):
+    rows = lambda df: sorted(tuple(r) for r in df.select("id", "target", "distance").collect())
+    for name in ("t2", "t3", "words"):
+        assert rows(paths.path_lengths(graphs[name], batch=3, kernel_edges=0)) == rows(paths.path_lengths(graphs[name]))
+    monkeypatch.setattr(paths, "_relax", None)  # neither rounds of joins nor their state
+    for name in ("t2", "t3", "words"):
+        assert rows(paths.path_lengths(graphs[name], batch=3)) == rows(paths.path_lengths(graphs[name]))
+
+
 def test_weighted_paths(graphs, spark):
     e = spark.createDataFrame([(1, 2, 5.0), (1, 3, 1.0), (3, 2, 1.0), (2, 4, 1.0)], "src long, dst long, w double")
     d = paths.path_lengths(Graph(graphs["t2"].vertices, e), paths.by_ids([4]), weight="w")
