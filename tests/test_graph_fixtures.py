@@ -1,6 +1,8 @@
 """Three small graphs with values worked out by hand from the definitions."""
 
 import math
+import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,6 +96,34 @@ def test_betweenness(graphs):
         bt.betweenness(graphs["t1"], "other")
 
 
+def test_batched_betweenness_is_searched_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(bt, "_dependencies", None)  # no joins for a small graph, in batches either
+    n = 12
+    # two rings, a bridge of parallel edges, a tail, an edge to an id without vertex, a vertex alone
+    e = [(0, 1), (1, 2), (2, 3), (3, 0), (0, 2), (0, 2), (3, 4), (4, 3), (4, 5), (5, 6), (6, 7), (7, 4), (7, 8), (8, 9), (2, 99)]
+    g = Graph(spark.createDataFrame([(i,) for i in range(n)], "id long"), spark.createDataFrame(e, "src long, dst long"))
+    near = defaultdict(list)
+    for a, b in e:
+        near[a].append(b)
+        near[b].append(a)
+    dist, ways = {}, defaultdict(float)
+    for s in list(near):
+        dist[s, s], ways[s, s], queue = 0, 1.0, [s]
+        for v in queue:
+            for w in near[v]:
+                if (s, w) not in dist:
+                    dist[s, w] = dist[s, v] + 1
+                    queue.append(w)
+                if dist[s, w] == dist[s, v] + 1:
+                    ways[s, w] += ways[s, v]
+    want = dict.fromkeys(range(n), 0.0)
+    for s, t in dist:
+        for v in near:
+            if s in want and v in want and v not in (s, t) and (s, v) in dist and (v, t) in dist and dist[s, v] + dist[v, t] == dist[s, t]:
+                want[v] += ways[s, v] * ways[v, t] / ways[s, t] / ((n - 1) * (n - 2))
+    close(values(bt.betweenness(g, "hua", batch=2), "measure"), want)
+
+
 def test_current_flow(graphs):
     got = values(bt.current_flow_betweenness(graphs["t2"], flows=5, eps=1e-3, max_rounds=60), "measure")
     assert got.keys() == set(T2[0]) and all(x >= 0 for x in got.values())
