@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphskein.graph import Graph
 from graphskein.operators import betweenness as bt
-from graphskein.operators import coarsening, community, links, louvain, measures, neighbours, paths, spectral, walks
+from graphskein.operators import coarsening, community, kernels, links, louvain, measures, neighbours, paths, spectral, walks
 
 T1 = ([1, 2, 3, 4, 5], [(1, 2), (1, 3), (1, 4), (1, 5)])
 T2 = ([1, 2, 3, 4, 5, 6], [(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (5, 6), (4, 6)])
@@ -243,6 +243,24 @@ def test_batches_of_hops_are_searched_like_all_of_them(graphs, monkeypatch):
         assert rows(paths.path_lengths(graphs[name], batch=3)) == rows(paths.path_lengths(graphs[name]))
 
 
+def test_all_shortest_paths_are_listed_without_rounds_of_joins(spark, monkeypatch):
+    monkeypatch.setattr(paths, "_relax", None)
+    monkeypatch.setattr(kernels, "BATCH_ROWS", 1)  # results are sent in parts
+    rng = random.Random(3)
+    e = {(rng.randrange(14), rng.randrange(14)) for _ in range(36)}
+    g = Graph(spark.createDataFrame([(i,) for i in range(16)], "id long"), spark.createDataFrame(sorted(e), "src long, dst long"))
+    want = {(i, i): [[]] for i in range(16)}
+    for target in range(16):
+        layer, seen = {target: [[]]}, {target}
+        while layer:
+            layer = {v: [[*p, u] for u in layer if (v, u) in e for p in layer[u]] for v in set(range(16)) - seen if any((v, u) in e for u in layer)}
+            seen |= layer.keys()
+            want |= {(v, target): sorted(p) for v, p in layer.items()}
+    got = paths.path_lengths(g, with_paths=True).collect()
+    assert {(r.id, r.target): sorted(r.paths) for r in got} == want and len(got) == len(want)
+    assert all(r.distance == len(r.paths[0]) for r in got)
+
+
 def test_weighted_paths(graphs, spark):
     e = spark.createDataFrame([(1, 2, 5.0), (1, 3, 1.0), (3, 2, 1.0), (2, 4, 1.0)], "src long, dst long, w double")
     d = paths.path_lengths(Graph(graphs["t2"].vertices, e), paths.by_ids([4]), weight="w")
