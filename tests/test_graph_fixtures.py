@@ -287,6 +287,16 @@ def test_coarsening_and_approximation(graphs):
     assert all(near[k] == exact[k] for k in near if exact[k] <= 2)
 
 
+def test_approximate_distances_need_no_exchange_of_pairs(graphs):
+    g = graphs["t3"]
+    labels = g.vertices.select("id", F.when(F.col("id") <= 3, 1).when(F.col("id") <= 5, 4).otherwise(F.col("id")).cast("long").alias("label"))
+    for undirected in (True, False):
+        near = coarsening.approximate_path_lengths(g, labels=labels, undirected=undirected)
+        assert "Aggregate" not in near._jdf.queryExecution().executedPlan().toString()
+        joined = coarsening.approximate_path_lengths(g, labels=labels, undirected=undirected, kernel_edges=0)
+        assert sorted(tuple(r) for r in near.collect()) == sorted(tuple(r) for r in joined.collect())
+
+
 def test_links(graphs):
     assert sorted(tuple(r) for r in links.predict_links(graphs["t2"]).collect()) == [(2, 1), (5, 4)]
     assert sorted(tuple(r) for r in links.predict_links(graphs["t3"]).collect()) == [(4, 1)]
