@@ -4,6 +4,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +153,39 @@ def test_current_flow_by_kernel_and_by_joins(graphs):
             bt.current_flow_betweenness(graphs["t2"], max_rounds=2, kernel_edges=kernel)
 
 
+def test_current_flow_reads_all_currents_from_columns_of_a_region(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "REGION_COLUMNS", 3)
+    monkeypatch.setattr(kernels, "CURRENT_CELLS", 16)
+    # a long path with a ring and a doubled edge, a ring of an even number, pairs
+    e = [(i, i + 1) for i in range(70)] + [(30, 36), (50, 51), (7, 9)] + [(100, 101), (101, 102), (102, 103), (103, 100)] + [(200 + 2 * i, 201 + 2 * i) for i in range(4)]
+    ids = sorted({x for pair in e for x in pair})
+    g = Graph(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(e, "src long, dst long"))
+    both = g.directed(True).select("src", "dst")
+    runs = bt.currents(both.groupBy(F.col("src").alias("v")).count(), both, 4, 7).collect()
+    at = {x: i for i, x in enumerate(ids)}
+    a = np.zeros((len(ids), len(ids)))
+    for x, y in e:
+        a[at[x], at[y]] += 1
+        a[at[y], at[x]] += 1
+    supply, deg = np.zeros((len(ids), len(runs))), a.sum(1)[:, None]
+    for k, r in enumerate(runs):
+        supply[at[r.s], k], supply[at[r.t], k] = 1, -1
+    for eps in (0.1, 0.02):  # few rounds, after which the path is not reached to its ends, and more than a first region is made for
+        p, reached, rounds = supply / deg / 2, supply != 0, 0
+        while True:
+            old, p = p, (a @ p + supply) / deg
+            reached, rounds = reached | (a @ reached > 0), rounds + 1
+            if np.abs(p - old).max() < eps:
+                break
+        assert rounds < 30 if eps == 0.1 else rounds > 70
+        there, n = reached & (supply == 0), np.array([r.n for r in runs])
+        through = np.einsum("vw,vwk->vk", a, np.abs(p[:, None] - p[None])) / 2
+        want = (through * there) @ n / np.maximum(1, there @ n)
+        close(values(bt.current_flow_betweenness(g, flows=4, eps=eps, max_rounds=rounds), "measure"), dict(zip(ids, want)))
+        with pytest.raises(RuntimeError, match="rounds"):
+            bt.current_flow_betweenness(g, flows=4, eps=eps, max_rounds=rounds - 1)
+
+
 def test_eigenvector(graphs):
     close(values(spectral.eigenvector(graphs["t1"]), "measure"), padded(T1[0], {}))
     close(values(spectral.eigenvector(graphs["t3"]), "measure"), padded(T3[0], {1: 0.37138, 2: 0.723036, 3: 0.518125, 4: 0.266162}))
