@@ -153,6 +153,33 @@ def test_current_flow_by_kernel_and_by_joins(graphs):
             bt.current_flow_betweenness(graphs["t2"], max_rounds=2, kernel_edges=kernel)
 
 
+def test_hops_of_sources_near_each_other_are_searched_together(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "TOGETHER", 7)
+    # a long path with ways around and back, parallel edges, loops, pairs, vertices alone
+    e = [(i, i + 1) for i in range(60)] + [(10, 14), (20, 17), (40, 30), (5, 5), (5, 6)] + [(100 + 2 * i, 101 + 2 * i) for i in range(5)]
+    ids = [*range(63), *range(100, 110), 500]
+    near = defaultdict(list)
+    for a, b in e:
+        near[a].append(b)
+    want = {}
+    for s in ids:
+        want[s, s], queue = 0, [s]
+        for v in queue:
+            for w in near[v]:
+                if (s, w) not in want:
+                    want[s, w] = want[s, v] + 1
+                    queue.append(w)
+    for name, make in (("long", lambda i: i), ("string", lambda i: f"v{i}")):
+        g = Graph(spark.createDataFrame([(make(i),) for i in ids], f"id {name}"), spark.createDataFrame([(make(a), make(b)) for a, b in e], f"src {name}, dst {name}"))
+        rows = paths.path_lengths(g, batch=3).collect()
+        assert len(rows) == len(want) and {(r.id, r.target): r.distance for r in rows} == {(make(s), make(v)): d for (s, v), d in want.items()}
+        some = spark.createDataFrame([(make(i),) for i in (3, 12, 45, 104, 500)], f"id {name}")
+        rows = paths.bfs(g, some, max_depth=4).collect()
+        assert sorted((r.source, r.id, r.distance) for r in rows) == sorted((make(s), make(v), d) for (s, v), d in want.items() if s in (3, 12, 45, 104, 500) and d <= 4)
+    alone = Graph(g.vertices, g.edges.limit(0))
+    assert sorted((r.source, r.id, r.distance) for r in paths.bfs(alone, some).collect()) == sorted((r.id, r.id, 0) for r in some.collect())
+
+
 def test_current_flow_reads_all_currents_from_columns_of_a_region(spark, monkeypatch):
     monkeypatch.setattr(kernels, "REGION_COLUMNS", 3)
     monkeypatch.setattr(kernels, "CURRENT_CELLS", 16)
