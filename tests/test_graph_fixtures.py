@@ -213,6 +213,41 @@ def test_current_flow_reads_all_currents_from_columns_of_a_region(spark, monkeyp
             bt.current_flow_betweenness(g, flows=4, eps=eps, max_rounds=rounds - 1)
 
 
+def test_current_flow_of_a_component_that_all_reach_has_a_column_per_vertex(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "WHOLE_VERTICES", 10)
+    monkeypatch.setattr(kernels, "COLUMN_CELLS", 40 * 9)  # five sources at a time, and the four they end in
+    monkeypatch.setattr(kernels, "BLOCK_EDGES", 16)
+    reached, all_reached = [], kernels._all_reached
+    monkeypatch.setattr(kernels, "_all_reached", lambda *a: reached.append(all_reached(*a)) or reached[-1])
+    rng = np.random.default_rng(5)
+    e = [(i, (i + 1) % 40) for i in range(40)] + [(int(a), int(b)) for a, b in rng.integers(0, 40, (60, 2)) if a != b] + [(0, 1), (40, 3), (100, 101), (101, 102)]
+    ids = sorted({x for pair in e for x in pair})
+    g = Graph(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(e, "src long, dst long"))
+    both = g.directed(True).select("src", "dst")
+    runs = bt.currents(both.groupBy(F.col("src").alias("v")).count(), both, 4, 7).collect()
+    large = sorted((r for r in runs if r.s <= 40), key=lambda r: r["at"])
+    for i in range(36):
+        ends = {x for r in large if i <= r["at"] < i + 5 for x in (r.s, r.t)}
+        assert len(ends) <= 5 + 4
+    at = {x: i for i, x in enumerate(ids)}
+    a = np.zeros((len(ids), len(ids)))
+    for x, y in e:
+        a[at[x], at[y]] += 1
+        a[at[y], at[x]] += 1
+    supply, deg, n = np.zeros((len(ids), len(runs))), a.sum(1)[:, None], np.array([r.n for r in runs])
+    for k, r in enumerate(runs):
+        supply[at[r.s], k], supply[at[r.t], k] = 1, -1
+    p, there = supply / deg / 2, supply != 0
+    while True:
+        old, p, there = p, (a @ p + supply) / deg, there | (a @ there > 0)
+        if np.abs(p - old).max() < 1e-3:
+            break
+    there &= supply == 0
+    want = (np.einsum("vw,vwk->vk", a, np.abs(p[:, None] - p[None])) / 2 * there) @ n / np.maximum(1, there @ n)
+    close(values(bt.current_flow_betweenness(g, flows=4), "measure"), dict(zip(ids, want)))
+    assert [x.tolist() for x in reached] == [[True, False]]
+
+
 def test_eigenvector(graphs):
     close(values(spectral.eigenvector(graphs["t1"]), "measure"), padded(T1[0], {}))
     close(values(spectral.eigenvector(graphs["t3"]), "measure"), padded(T3[0], {1: 0.37138, 2: 0.723036, 3: 0.518125, 4: 0.266162}))
