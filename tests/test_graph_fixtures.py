@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -357,6 +358,28 @@ def test_all_shortest_paths_are_listed_without_rounds_of_joins(spark, monkeypatc
     assert all(r.distance == len(r.paths[0]) for r in got)
 
 
+def test_listed_paths_go_on_from_those_of_the_layer_before(spark):
+    n = 3000
+    g = Graph(spark.range(n), spark.range(n - 1).selectExpr("id as src", "id + 1 as dst"))
+    began = time.time()
+    got = paths.path_lengths(g, paths.by_id(n - 1), with_paths=True).collect()
+    assert time.time() - began < 60  # following every layer back to the target takes longer
+    assert {r.id: r.paths for r in got} == {i: [list(range(n - 1, i, -1))] for i in range(n)} and len(got) == n
+    assert all(r.distance == n - 1 - r.id for r in got)
+
+
+def test_paths_of_layers_too_large_to_be_kept_are_listed(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "BATCH_ROWS", 1)
+    # seven squares one after the other, each with two ways through it; then beside them a line, alone in the last layers; 30 is by itself
+    e = [x for i in range(0, 21, 3) for x in ((i, i + 1), (i, i + 2), (i + 1, i + 3), (i + 2, i + 3))] + [(i, i + 1) for i in range(40, 59)] + [(59, 21)]
+    vertices = [*range(22), 30, *range(40, 60)]
+    ways = lambda v, t: [[]] if v == t else [[*p, w] for u, w in e if u == v for p in ways(w, t)]
+    g = Graph(spark.createDataFrame([(str(i),) for i in vertices], "id string"), spark.createDataFrame([(str(u), str(w)) for u, w in e], "src string, dst string"))
+    got = {(int(r.id), int(r.target)): sorted([*map(int, p)] for p in r.paths) for r in paths.path_lengths(g, with_paths=True).collect()}
+    assert got == {(v, t): sorted(p) for v in vertices for t in vertices if (p := ways(v, t))}
+    assert len(got[(0, 21)]) == 128
+
+
 def test_weighted_paths(graphs, spark):
     e = spark.createDataFrame([(1, 2, 5.0), (1, 3, 1.0), (3, 2, 1.0), (2, 4, 1.0)], "src long, dst long, w double")
     d = paths.path_lengths(Graph(graphs["t2"].vertices, e), paths.by_ids([4]), weight="w")
